@@ -12,21 +12,28 @@ from ..functions.codes import contains_ignore_case
 from ..functions.levels import parse_level
 from .tables import column_names, conform, normalize_column_names, ordered_limit
 
-# Column names and types of the role tables.
-COHORT_SCHEMA = T.StructType.fromDDL(
-    "person_id long, person_source_value string, gender_source_value string, race_source_value string, "
-    "ethnicity_source_value string, year_of_birth long, month_of_birth long, day_of_birth long, "
-    "birth_date date, birth_datetime timestamp_ntz"
+_LONG, _TEXT, _DOUBLE, _DATE, _TIME = (
+    T.LongType(), T.StringType(), T.DoubleType(), T.DateType(), T.TimestampNTZType(),
 )
-PREMAPPED_SCHEMA = T.StructType.fromDDL(
-    "phecode string, phecode_str string, phecode_category string, icd_10 string, icd string"
+
+
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+# Column names and types of the role tables.
+COHORT_SCHEMA = _schema(
+    person_id=_LONG, person_source_value=_TEXT, gender_source_value=_TEXT, race_source_value=_TEXT,
+    ethnicity_source_value=_TEXT, year_of_birth=_LONG, month_of_birth=_LONG, day_of_birth=_LONG,
+    birth_date=_DATE, birth_datetime=_TIME,
 )
-OBSERVATION_SCHEMA = T.StructType.fromDDL(
-    "person_id long, visit_occurrence_id long, observation_id long, observation_source_value string, "
-    "observation_date date, observation_datetime timestamp_ntz, value_as_string string, "
-    "value_source_value string, value_as_number double, value_as_concept_id long"
+PREMAPPED_SCHEMA = _schema(phecode=_TEXT, phecode_str=_TEXT, phecode_category=_TEXT, icd_10=_TEXT, icd=_TEXT)
+OBSERVATION_SCHEMA = _schema(
+    person_id=_LONG, visit_occurrence_id=_LONG, observation_id=_LONG, observation_source_value=_TEXT,
+    observation_date=_DATE, observation_datetime=_TIME, value_as_string=_TEXT, value_source_value=_TEXT,
+    value_as_number=_DOUBLE, value_as_concept_id=_LONG,
 )
-DEATH_SCHEMA = T.StructType.fromDDL("person_id long, death_date date, death_datetime timestamp_ntz, source_table string")
+DEATH_SCHEMA = _schema(person_id=_LONG, death_date=_DATE, death_datetime=_TIME, source_table=_TEXT)
 VISIT_COLUMNS = [
     "person_id", "visit_occurrence_id", "visit_start_date", "visit_start_datetime",
     "visit_end_date", "visit_end_datetime", "visit_source_value", "visit_concept_id",
