@@ -342,4 +342,4 @@ def with_roles(body: str, *roles: str) -> str:
         return text
     # A body may bring tables of its own, as "WITH ..." or as ", ...".
     more = "," if text.startswith("WITH ") else ""
-    return f"WITH {', '.join(parts)}{more} {text.removeprefix('WITH ')}"
+    return f"WITH RECURSIVE {', '.join(parts)}{more} {text.removeprefix('WITH ')}"
