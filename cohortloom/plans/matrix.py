@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.cohort import eligible_persons
 from ..operators.features import FeatureMatrix, build_matrix, feature_events, feature_metadata
 from ..operators.mapping import MappedEvents, drop_empty_columns, has_premapped_codes, map_events, premapped_events
+from ..session import cut_lineage
 from ..settings import MatrixSettings
 from ..sources import sinks
 
@@ -22,6 +23,7 @@ class MatrixBuild:
     audit: DataFrame
     unmapped: DataFrame
     mapping_source: str
+    settings: MatrixSettings = MatrixSettings()
 
 
 def build_feature_matrix(
@@ -49,7 +51,16 @@ def build_feature_matrix(
     events = feature_events(mapped.events, settings.exclude_codes, settings.feature_prefix)
     matrix = build_matrix(events, settings.min_patients)
     metadata = feature_metadata(events).join(matrix.cells.select("feature_id"), "feature_id", "left_semi")
-    return MatrixBuild(matrix, events, metadata, mapped.audit, mapped.unmapped, source)
+    return MatrixBuild(matrix, events, metadata, mapped.audit, mapped.unmapped, source, settings)
+
+
+def materialise(build: MatrixBuild) -> MatrixBuild:
+    """Write events, persons and cells once, for steps that read the matrix many times."""
+    events = cut_lineage(build.events)
+    fresh = build_matrix(events, build.settings.min_patients)
+    matrix = FeatureMatrix(cut_lineage(fresh.persons), cut_lineage(fresh.cells))
+    metadata = feature_metadata(events).join(matrix.cells.select("feature_id"), "feature_id", "left_semi")
+    return replace(build, events=events, matrix=matrix, metadata=metadata)
 
 
 def matrix_summary(build: MatrixBuild) -> DataFrame:

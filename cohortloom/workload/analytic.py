@@ -59,7 +59,7 @@ def matrix_rows(t: Roles) -> DataFrame:
     SELECT (SELECT count(*) FROM persons) AS n_patients, count(DISTINCT feature_id) AS n_features, count(*) AS n_ones,
       (SELECT count(*) FROM events_mapped) AS n_event_rows, 'icd_phecode_map' AS mapping_source FROM cells""", "persons cells events_mapped")
 def feature_matrix_summary(t: Roles) -> DataFrame:
-    return matrix_summary(t.build)
+    return matrix_summary(t.saved)
 
 
 @query("M2", """
@@ -116,7 +116,7 @@ def principal_components(t: Roles) -> DataFrame:
 
 @query("M6 F6 M20")
 def components_by_variance(t: Roles) -> DataFrame:
-    m = features.without_constant(t.build.matrix)
+    m = features.without_constant(t.saved.matrix)
     vectors, _ = embedding.person_vectors(m.persons, features.transform(m, "zscore"))
     return embedding.principal_components(cut_lineage(vectors), variance_target=0.80).scores
 
@@ -266,12 +266,12 @@ def adjusted_rand_index(t: Roles) -> DataFrame:
 
 @query("T1", "SELECT * FROM grid", "grid")
 def contingency_grid(t: Roles) -> DataFrame:
-    return features.cluster_feature_grid(t.build.matrix.cells, _labels(t))
+    return features.cluster_feature_grid(t.saved.matrix.cells, _labels(t))
 
 
 @query("T2", "SELECT cluster, feature_id, round(p_value, 6) AS p_value FROM tested", "tested")
 def fisher_exact(t: Roles) -> DataFrame:
-    tested = enrichment.enrichment_counts(features.cluster_feature_grid(t.build.matrix.cells, _labels(t)))
+    tested = enrichment.enrichment_counts(features.cluster_feature_grid(t.saved.matrix.cells, _labels(t)))
     return tested.select("cluster", "feature_id", r6("p_value").alias("p_value"))
 
 
@@ -309,7 +309,7 @@ def top_enriched_features(t: Roles) -> DataFrame:
 
 @query("T5")
 def forest_importance(t: Roles) -> DataFrame:
-    return enrichment.forest_importance(t.build.matrix.cells, _labels(t), trees=100, max_depth=8)
+    return enrichment.forest_importance(t.saved.matrix.cells, _labels(t), trees=100, max_depth=8)
 
 
 @query("T7", """
@@ -380,12 +380,12 @@ _RUN = replace(
 
 @query("E4 M20 L4 S13")
 def clustering_run(t: Roles) -> DataFrame:
-    return run_clustering(t.build.matrix, _RUN).assignments
+    return run_clustering(t.saved.matrix, _RUN).assignments
 
 
 @query("E5 T4 A6 A7")
 def interpretation_run(t: Roles) -> DataFrame:
-    found = run_interpretation(t.build.matrix, t.assignments, t.build.metadata, t.cohort, trees=0)
+    found = run_interpretation(t.saved.matrix, t.assignments, t.saved.metadata, t.cohort, trees=0)
     return found.enrichment
 
 
@@ -393,12 +393,12 @@ def interpretation_run(t: Roles) -> DataFrame:
 def validation_report(t: Roles) -> DataFrame:
     names = t.table("part").select(F.col("p_type").alias("cluster"), F.initcap("p_type").alias("cluster_name")).distinct()
     summary = enrichment.cluster_summary(t.assignments, t.cohort)
-    return run_comparison(cut_lineage(_enrichment(t)), summary, t.baseline, names, audit=t.build.audit).report
+    return run_comparison(cut_lineage(_enrichment(t)), summary, t.baseline, names, audit=t.saved.audit).report
 
 
 @query("E8 T10 T11 T12 T13 K7")
 def artifact_audit_report(t: Roles) -> DataFrame:
-    m = t.build.matrix
+    m = t.saved.matrix
     pairs = t.assignments.select(F.col("person_id").alias("id"), "cluster", F.col("cluster").alias("subtype")).select(
         "id", "cluster", "subtype", F.col("cluster").alias("obs_cluster"), F.col("subtype").alias("obs_subtype"),
         F.col("id").alias("numeric_id"), F.col("cluster").alias("subcluster"), F.col("subtype").alias("demo_subtype"),
@@ -407,7 +407,7 @@ def artifact_audit_report(t: Roles) -> DataFrame:
     side = t.cohort.filter(F.col("gmfcs_level").isNotNull()).select(
         F.col("person_id").cast("string").alias("person_id"), F.col("gmfcs_level").alias("level")
     )
-    return artifact_audit(pairs, t.build.events, m.cells, features.normalize_log1p(m.cells), t.assignments.join(side, "person_id"))
+    return artifact_audit(pairs, t.saved.events, m.cells, features.normalize_log1p(m.cells), t.assignments.join(side, "person_id"))
 
 
 @query("E9 S9 J16 J11", """
@@ -428,7 +428,7 @@ def reference_matrix_check(t: Roles) -> DataFrame:
 
 @query("E10 M25 K7 S10")
 def replay_of_stored_clusters(t: Roles) -> DataFrame:
-    m = t.build.matrix
+    m = t.saved.matrix
     settings = replace(ReplaySettings(), pca_n_components=20)
     vectors, _ = embedding.person_vectors(m.persons, features.normalize_log1p(m.cells))
     points = embedding.first_components(embedding.principal_components(cut_lineage(vectors), 20).scores, 15)
@@ -458,5 +458,5 @@ def sensitivity_best(t: Roles) -> DataFrame:
 
 @query("E12 M24")
 def reduced_feature_validation(t: Roles) -> DataFrame:
-    results = experiments.reduced_feature_validation(t.build.matrix, t.assignments, cutoffs=(200,), resolutions=(0.5, 1.0, 2.0))
+    results = experiments.reduced_feature_validation(t.saved.matrix, t.assignments, cutoffs=(200,), resolutions=(0.5, 1.0, 2.0))
     return experiments.best_reduced(results)

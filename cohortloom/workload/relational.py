@@ -9,6 +9,7 @@ from ..functions import codes, identity, levels, measures
 from ..operators import audit, cohort, contrast, enrichment, features, labels, mapping
 from ..operators.community import letters, relabel_sequential
 from ..plans.extraction import extract_all, extract_summary
+from ..session import cut_lineage
 from ..sources import extract, sinks, tables
 from ..sources.extract import DiagnosisShape
 from .registry import longs, query, r6, rounded
@@ -160,7 +161,7 @@ def level_observations(t: Roles) -> DataFrame:
       CAST(coalesce(max(CASE WHEN feature_id = 'phe_210' THEN 1 END), 0) AS BIGINT) AS phe_210
     FROM persons p LEFT JOIN cells c ON c.person_id = p.person_id GROUP BY p.person_id""", "persons cells")
 def wide_binary_matrix(t: Roles) -> DataFrame:
-    wide = sinks.wide_matrix(t.build.matrix.cells, t.build.matrix.persons, ["phe_101", "phe_110", "phe_210"])
+    wide = sinks.wide_matrix(t.saved.matrix.cells, t.saved.matrix.persons, ["phe_101", "phe_110", "phe_210"])
     return longs(wide, "phe_101", "phe_110", "phe_210")
 
 
@@ -338,7 +339,7 @@ def persons_without_events(t: Roles) -> DataFrame:
 def signature_match_scores(t: Roles) -> DataFrame:
     from ..operators.matching import score_matches
 
-    return score_matches(_enrichment(t), t.baseline, 10)
+    return score_matches(cut_lineage(_enrichment(t)), t.baseline, 10)
 
 
 @query("J16 A19 T10", """
@@ -360,7 +361,7 @@ def matrix_difference(t: Roles) -> DataFrame:
             "person_id", F.concat(F.lit("phe_"), (100 + F.col("p_size")).cast("string")).alias("feature_id")
         )
     ).withColumn("value", F.lit(8.0))
-    found = audit.matrix_difference(features.normalize_log1p(t.build.matrix.cells), other)
+    found = audit.matrix_difference(features.normalize_log1p(t.saved.matrix.cells), other)
     return rounded(found, "max_abs_diff", "mean_abs_diff")
 
 
@@ -444,7 +445,7 @@ def _low_codes(t: Roles) -> DataFrame:
 @query("A13", """
     SELECT feature_id, round(max(r) - min(r), 6) AS prevalence_range FROM (SELECT feature_id, num_patients / cluster_patients AS r FROM grid) GROUP BY feature_id""", "grid")
 def prevalence_range(t: Roles) -> DataFrame:
-    return rounded(features.prevalence_range(t.build.matrix.cells, _labels(t)), "prevalence_range")
+    return rounded(features.prevalence_range(t.saved.matrix.cells, _labels(t)), "prevalence_range")
 
 
 @query("A14", """
@@ -690,11 +691,11 @@ def sizes_as_json(t: Roles) -> DataFrame:
 
 
 def _labels(t: Roles) -> DataFrame:
-    return enrichment.labels_of(t.build.matrix.persons, t.assignments)
+    return enrichment.labels_of(t.saved.matrix.persons, t.assignments)
 
 
 def _enrichment(t: Roles) -> DataFrame:
-    return enrichment.feature_enrichment(t.build.matrix.cells, _labels(t), t.build.metadata)
+    return enrichment.feature_enrichment(t.saved.matrix.cells, _labels(t), t.saved.metadata)
 
 
 

@@ -11,7 +11,7 @@ from ..operators.cohort import build_cohort
 from ..operators.features import FeatureMatrix, build_matrix
 from ..operators.mapping import code_map
 from ..plans.extraction import Sources
-from ..plans.matrix import MatrixBuild, build_feature_matrix
+from ..plans.matrix import MatrixBuild, build_feature_matrix, materialise
 from ..settings import MatrixSettings
 from ..sources.extract import DiagnosisShape, extract_cohort, extract_diagnoses, extract_level_observations
 from ..sources.tables import read_table
@@ -157,6 +157,11 @@ class Roles:
     def build(self) -> MatrixBuild:
         return build_feature_matrix(self.diagnoses, self.code_map, MATRIX, self.cohort, premapped=False)
 
+    @cached_property
+    def saved(self) -> MatrixBuild:
+        """The built matrix as written tables, as one stage hands it to the next."""
+        return materialise(self.build)
+
     @cached_property
     def part_events(self) -> DataFrame:
         """One feature per part: many features of middling prevalence."""
