@@ -15,9 +15,13 @@ ICD10_NAMES = ["10", "ICD10", "ICD10CM", "ICD10DX"]
 BLANK_CODES = ["", "nan", "None", "NaN"]
 
 
+# Characters that count as white space at the ends of a text.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u2028\u2029\u3000"
+
+
 def strip(value: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(value.cast("string"), r"^\s+|\s+$", "")
+    return F.btrim(value.cast("string"), F.lit(WHITE_SPACE))
 
 
 def clean_scalar(value: Column) -> Column:
@@ -38,25 +42,41 @@ def normalize_icd(value: Column) -> Column:
     return F.translate(F.upper(clean_scalar(value)), ". ", "")
 
 
+def vocabulary_of(norm_code: Column) -> Column:
+    """Code system by the first character of a normalised code: digit or letter."""
+    first = F.substring(norm_code, 1, 1)
+    # The plain ranges decide nearly every code; the patterns are for other alphabets.
+    return (
+        F.when(first.between("0", "9"), F.lit("ICD9CM"))
+        .when(first.between("A", "Z"), F.lit("ICD10CM"))
+        .when(first.rlike(r"^\p{Nd}"), F.lit("ICD9CM"))
+        .when(first.rlike(r"^\p{L}"), F.lit("ICD10CM"))
+    )
+
+
 def infer_vocabulary(value: Column) -> Column:
-    code = normalize_icd(value)
-    return F.when(code.rlike(r"^\p{Nd}"), F.lit("ICD9CM")).when(code.rlike(r"^\p{L}"), F.lit("ICD10CM"))
+    return vocabulary_of(normalize_icd(value))
 
 
-def normalize_vocabulary(value: Column, code: Column | None = None) -> Column:
+def named_vocabulary(value: Column) -> Column:
     text = F.translate(F.upper(clean_scalar(value)), "-_", "")
-    named = F.when(text.isin(ICD9_NAMES), F.lit("ICD9CM")).when(text.isin(ICD10_NAMES), F.lit("ICD10CM"))
+    return F.when(text.isin(ICD9_NAMES), F.lit("ICD9CM")).when(text.isin(ICD10_NAMES), F.lit("ICD10CM"))
+
+
+def normalize_vocabulary(value: Column, code: Column | None = None) -> Column:
+    named = named_vocabulary(value)
     return named if code is None else F.coalesce(named, infer_vocabulary(code))
 
 
 def drop_point_zero(value: Column) -> Column:
     """Trimmed text without a trailing ``.0``; used for codes and for identifiers."""
-    return F.regexp_replace(strip(value), r"\.0$", "")
+    text = strip(value)
+    return F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
 
 
 def make_feature_id(code: Column, prefix: str = "phe_") -> Column:
     joined = F.regexp_replace(drop_point_zero(code), "[^A-Za-z0-9]+", "_")
-    return F.concat(F.lit(prefix), F.regexp_replace(joined, "^_+|_+$", ""))
+    return F.concat(F.lit(prefix), F.btrim(joined, F.lit("_")))
 
 
 def _feature_id_text(code: str, prefix: str) -> str:
@@ -73,12 +93,14 @@ def code_spellings(codes: Iterable[object], prefix: str = "phe_") -> list[str]:
     return sorted(spellings)
 
 
-def matches_code(value: Column, codes: Iterable[object], prefix: str = "phe_") -> Column:
+def matches_code(
+    value: Column, codes: Iterable[object], prefix: str = "phe_", feature_id: Column | None = None
+) -> Column:
     spellings = code_spellings(codes, prefix)
     if not spellings:
         return F.lit(False)
-    raw = strip(value)
-    return raw.isin(spellings) | drop_point_zero(value).isin(spellings) | make_feature_id(value, prefix).isin(spellings)
+    own = make_feature_id(value, prefix) if feature_id is None else feature_id
+    return strip(value).isin(spellings) | drop_point_zero(value).isin(spellings) | own.isin(spellings)
 
 
 def canonical_float_code(value: Column) -> Column:
@@ -95,7 +117,8 @@ def canonical_float_code(value: Column) -> Column:
 
 
 def strip_id_suffix(value: Column) -> Column:
-    return F.regexp_replace(drop_point_zero(value), "-ALL$", "")
+    text = drop_point_zero(value)
+    return F.when(text.endswith("-ALL"), F.substring(text, F.lit(1), F.length(text) - 4)).otherwise(text)
 
 
 def leading_int(value: Column) -> Column:

@@ -25,11 +25,20 @@ class FeatureMatrix:
 
 def exclude_codes(events: DataFrame, codes: tuple[str, ...] | list[str], prefix: str = "phe_") -> DataFrame:
     """Drop listed codes in any spelling."""
-    return events.filter(~matches_code(F.col("phecode"), codes, prefix)) if codes else events
+    if not codes:
+        return events
+    known = F.col("feature_id") if "feature_id" in events.columns else None
+    return events.filter(~matches_code(F.col("phecode"), codes, prefix, known))
+
+
+def with_feature_ids(rows: DataFrame, prefix: str = "phe_") -> DataFrame:
+    return rows.withColumn("feature_id", make_feature_id(F.col("phecode"), prefix))
 
 
 def feature_events(events: DataFrame, codes: tuple[str, ...] | list[str] = (), prefix: str = "phe_") -> DataFrame:
-    return exclude_codes(events, codes, prefix).withColumn("feature_id", make_feature_id(F.col("phecode"), prefix))
+    """Events with their feature; ids that came along with the code map are not made again."""
+    named = events if "feature_id" in events.columns else with_feature_ids(events, prefix)
+    return exclude_codes(named, codes, prefix)
 
 
 def feature_metadata(events: DataFrame) -> DataFrame:

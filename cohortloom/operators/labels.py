@@ -32,14 +32,12 @@ def adjusted_rand(pairs: DataFrame, left: str, right: str, keys: Sequence[str] =
 
     keys = list(keys)
     cells = contingency(pairs, left, right, keys)
-    groups = keys or [F.lit(1).alias("_one")]
-    cell_sum = cells.groupBy(*groups).agg(F.sum(choose_two(F.col("n"))).alias("cell"), F.sum("n").alias("n_all"))
-    sides = []
+    cell_sum = cells.groupBy(*keys).agg(F.sum(choose_two(F.col("n"))).alias("cell"), F.sum("n").alias("n_all"))
+    joined = cell_sum
     for column, name in ((left, "row"), (right, "column")):
         margin = cells.groupBy(*keys, column).agg(F.sum("n").alias("n"))
-        sides.append(margin.groupBy(*groups).agg(F.sum(choose_two(F.col("n"))).alias(name)))
-    on = keys or ["_one"]
-    joined = cell_sum.join(sides[0], on).join(sides[1], on)
+        side = margin.groupBy(*keys).agg(F.sum(choose_two(F.col("n"))).alias(name))
+        joined = joined.join(side, keys) if keys else joined.withColumn(name, side.scalar())
     expected = F.try_divide(F.col("row") * F.col("column"), choose_two(F.col("n_all")))
     widest = (F.col("row") + F.col("column")) / 2
     score = F.try_divide(F.col("cell") - expected, widest - expected)

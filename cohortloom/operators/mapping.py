@@ -7,7 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import blank_to_null, infer_vocabulary, normalize_icd, normalize_vocabulary, strip
+from ..functions.codes import (
+    blank_to_null,
+    infer_vocabulary,
+    named_vocabulary,
+    normalize_icd,
+    normalize_vocabulary,
+    strip,
+    vocabulary_of,
+)
 from ..sources.tables import normalize_column_names, pick_column
 
 # Accepted column names of maps and definitions, in order of preference.
@@ -88,12 +96,10 @@ def with_code_keys(diagnoses: DataFrame, code: str = "source_code") -> DataFrame
     """Add the normalised code and vocabulary used to look codes up."""
     if code not in diagnoses.columns:
         raise ValueError(f"diagnoses lack {code}")
-    vocabulary = (
-        normalize_vocabulary(F.col("vocabulary_id"), F.col(code))
-        if "vocabulary_id" in diagnoses.columns
-        else infer_vocabulary(F.col(code))
-    )
-    return diagnoses.withColumn("norm_code", normalize_icd(F.col(code))).withColumn("vocabulary_id", vocabulary)
+    inferred = vocabulary_of(F.col("norm_code"))
+    if "vocabulary_id" in diagnoses.columns:
+        inferred = F.coalesce(named_vocabulary(F.col("vocabulary_id")), inferred)
+    return diagnoses.withColumn("norm_code", normalize_icd(F.col(code))).withColumn("vocabulary_id", inferred)
 
 
 def join_code_map(diagnoses: DataFrame, mapping: DataFrame, code: str = "source_code") -> DataFrame:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cohort import eligible_persons
-from ..operators.features import FeatureMatrix, build_matrix, feature_events, feature_metadata
+from ..operators.features import FeatureMatrix, build_matrix, feature_events, feature_metadata, with_feature_ids
 from ..operators.mapping import MappedEvents, drop_empty_columns, has_premapped_codes, map_events, premapped_events
 from ..session import cut_lineage
 from ..settings import MatrixSettings
 from ..sources import sinks
+from ..sources.tables import read_table
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,9 @@ def build_feature_matrix(
         mapped: MappedEvents = premapped_events(rows)
         source = "premapped_phecode"
     else:
-        mapped = map_events(drop_empty_columns(rows, ["phecode", "phecode_str", "phecode_category"]), code_map)
+        rows = drop_empty_columns(rows, ["phecode", "phecode_str", "phecode_category"])
+        # Feature ids are made on the map, once per code instead of once per event.
+        mapped = map_events(rows, with_feature_ids(code_map, settings.feature_prefix))
         source = "icd_phecode_map"
     events = feature_events(mapped.events, settings.exclude_codes, settings.feature_prefix)
     matrix = build_matrix(events, settings.min_patients)
@@ -56,7 +59,8 @@ def build_feature_matrix(
 
 def materialise(build: MatrixBuild) -> MatrixBuild:
     """Write events, persons and cells once, for steps that read the matrix many times."""
-    events = cut_lineage(build.events)
+    wanted = ("person_id", "feature_id", "phecode", "phecode_str", "phecode_category")
+    events = cut_lineage(build.events.select(*[c for c in wanted if c in build.events.columns]))
     fresh = build_matrix(events, build.settings.min_patients)
     matrix = FeatureMatrix(cut_lineage(fresh.persons), cut_lineage(fresh.cells))
     metadata = feature_metadata(events).join(matrix.cells.select("feature_id"), "feature_id", "left_semi")
@@ -80,3 +84,10 @@ def write_matrix(build: MatrixBuild, out: str) -> None:
     sinks.write_csv(build.metadata, f"{out}/feature_metadata.csv")
     sinks.write_csv(build.audit, f"{out}/mapping_audit.csv")
     sinks.write_csv(build.unmapped, f"{out}/unmapped_codes.csv")
+
+
+def read_matrix(spark: SparkSession, folder: str) -> FeatureMatrix:
+    """Matrix written by ``write_matrix``."""
+    return FeatureMatrix(
+        read_table(spark, f"{folder}/persons.parquet"), read_table(spark, f"{folder}/feature_cells.parquet")
+    )
