@@ -189,7 +189,7 @@ def _judge(parts, share: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             data, offsets = text_bytes(batch.column("text"))
-            rows = batch.num_rows
+            rows, carried = batch.num_rows, batch.schema.names[2:]
             total, hits = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
             found: list[set[str]] = [set() for _ in range(rows)]
             spans: list[list[list[int]]] = [[] for _ in range(rows)]
@@ -235,15 +235,15 @@ def _judge(parts, share: int):
                         spans[int(merged[0, run_[0]])].append([int(merged[1, run_[0]]), int(merged[1, run_[-1]]) + 1])
             digest = [hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() if f else none for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(total), pa.array(hits.astype(np.int64)), pa.array([len(f) for f in found], pa.int64()), pa.array(digest), pa.array((hits > 0) & (share * hits >= total)), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
+                [*(batch.column(c) for c in carried), batch.column("doc_id"), pa.array(total), pa.array(hits.astype(np.int64)), pa.array([len(f) for f in found], pa.int64()), pa.array(digest), pa.array((hits > 0) & (share * hits >= total)), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
+                names=[*carried, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``, ``spans``.
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: ``doc_id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``, ``spans``, and the columns of ``carry``.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z in lower
     case. A window is ``width`` consecutive words of an item, or the whole item
@@ -262,6 +262,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     for number in range(count):
         own = items.where(F.pmod(F.xxhash64("k"), F.lit(count)) == number).orderBy("k").collect()
         parts.append(spark.sparkContext.broadcast(compile_phrases([(r["k"], r["t"]) for r in own], width)))
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {doc_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_judge(parts, share), schema)
+    asked = docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in asked.schema.fields[2:])
+    schema = f"{kept}doc_id {asked.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>"
+    told = asked.mapInArrow(_judge(parts, share), schema)
+    return told.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", *[F.col(f"_{c}").alias(c) for c in carry])

@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .exact import exact_duplicates
+from .language import identify
+from .lines import deduplicate_lines
 from .ngram_join import ngram_jaccard_join
 from .phrases import repeated_passages
+from .pieces import encode_pieces
+from .quality import score_quality
+from .toxicity import score_toxicity
 from .urls import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +124,28 @@ FROM b LEFT JOIN l ON host = listed
 """)
 def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_verdicts(table(spark, folder, "pages"))
+
+
+@query()
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(table(spark, folder, "documents"))
+
+
+@query()
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_pieces(table(spark, folder, "documents"))
+
+
+@query()
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return deduplicate_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
