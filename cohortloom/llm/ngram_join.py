@@ -189,6 +189,8 @@ def _tile_edges(percent: int):
             busy = np.concatenate((same, [False])) | np.concatenate(([False], same))
             key, ids, n, part, low, high = (x[busy] for x in (key, ids, n, part, low, high))
             n, part = n.astype(np.int64), part.astype(np.int64)
+            # Bit counts of signed numbers are those of their absolute values.
+            low, high = low.view(np.uint64), high.view(np.uint64)
             forest, found, at, step = _Forest(len(key)), [], np.arange(len(key)), 1
             while len(at):
                 at = at[at + step < len(key)]
