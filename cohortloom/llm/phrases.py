@@ -6,10 +6,9 @@
 2.  Those windows are confirmed by a count over 64-bit window hashes, which
     also gives the first document of each. Both counts combine before they
     shuffle, so a passage that a third of all documents share is no hot key.
-3.  Documents are dealt to blocks. For each block and confirmed window one
-    place is named where the window stands in the block. The block's words at
-    these places are compiled to one automaton, and all documents of the block
-    are streamed through it, which finds every occurrence.
+3.  Documents are dealt to blocks, and each block is told where confirmed
+    windows stand in it. The words at these places are compiled to the block's
+    automaton, and all documents of the block are streamed through it.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from .words import NOT_BLANK, Words, batches, text_bytes, whole_runs, window_has
 
 ANCHOR = 5
 #: Characters of text that a block has on average.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
 
 
 def _anchors(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,24 +100,38 @@ class _Block:
             texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
         self.data, offsets = text_bytes(texts)
         self.words = Words(self.data, offsets, NOT_BLANK)
-        _, self.number = np.unique(self.words.hash, return_inverse=True)
+        self.digits, self.coded = self._coded(np.unique(self.words.hash, return_inverse=True)[1])
         self.windows = window_hashes(self.words.hash, width).view(np.int64)
         self.row_of: dict[int, list[int]] = {}
         for k, doc in enumerate(self.ids):
             self.row_of.setdefault(doc, []).append(k)
         self.named = table.filter(pa.compute.is_null(table.column("row")))
 
+    @staticmethod
+    def _coded(number: np.ndarray) -> tuple[int, str]:
+        """Each word as two or more characters: an automaton node searches its children one by one, so it may have few.
+
+        The first character of a word is from another range than the others, so matches begin and end with words.
+        """
+        digits = 2
+        while len(number) and number.max() >> 8 * digits:
+            digits += 1
+        parts = np.stack([((number >> 8 * k) & 255) + (0x400 if k == 0 else 0x800) for k in range(digits)], axis=1)
+        return digits, parts.astype(np.uint32).tobytes().decode("utf-32-le")
+
     def automaton(self) -> ahocorasick.Automaton | None:
         """Every named window, with the first document that has it."""
-        built = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for doc, windows, places, firsts in zip(*(self.named.column(c).to_pylist() for c in ("doc_id", "windows", "places", "firsts")), strict=True):
+        built = ahocorasick.Automaton()
+        size = self.width * self.digits
+        for doc, places, checks, firsts in zip(*(self.named.column(c).to_pylist() for c in ("doc_id", "places", "checks", "firsts")), strict=True):
             for k in self.row_of.get(doc, []):
                 begin, end = int(self.words.first[k]), int(self.words.first[k + 1])
-                for window, place, first in zip(windows, places, firsts, strict=True):
-                    at = begin + place
-                    # Rows may share an id; the hash tells whether this row has the window there.
-                    if at + self.width <= end and self.windows[at] == window:
-                        built.add_word(tuple(self.number[at : at + self.width].tolist()), first)
+                at = begin + np.array(places, np.int64)
+                fits = at + self.width <= end
+                # Rows may share an id; the check tells whether this row has the window there.
+                fits[fits] = self.windows[at[fits]].astype(np.int32) == np.array(checks, np.int32)[fits]
+                for begin_, first in zip((at[fits] * self.digits).tolist(), np.array(firsts)[fits].tolist(), strict=True):
+                    built.add_word(self.coded[begin_ : begin_ + size], first)
         if not len(built):
             return None
         built.make_automaton()
@@ -132,9 +145,9 @@ class _Block:
             begin, end = int(self.words.first[k]), int(self.words.first[k + 1])
             change = np.zeros(end - begin + 1, np.int64)
             if automaton is not None and doc is not None and end - begin >= self.width:
-                last = [at for at, first in automaton.iter(tuple(self.number[begin:end].tolist())) if first < doc]
+                last = [at for at, first in automaton.iter(self.coded[begin * self.digits : end * self.digits]) if first < doc]
                 if last:
-                    stop = np.array(last) + 1
+                    stop = np.array(last) // self.digits + 1
                     np.add.at(change, stop - self.width, 1)
                     np.add.at(change, stop, -1)
             out.append(np.cumsum(change[:-1]) > 0)
@@ -187,12 +200,12 @@ def repeated_passages(docs: DataFrame, width: int = 13, scratch: Scratch | None
     confirmed = scratch.keep(windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("hi")).where("first <> hi").select("window", "first"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = F.lit(chars // BLOCK_CHARS + 1)
-    later = windows.join(confirmed, "window").where("doc_id > first").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks))
-    places = later.groupBy("block", "window").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.min("first").alias("first"))
-    named = places.groupBy("block", F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("window", F.col("at.place").alias("place"), "first")).alias("n"))
-    named = scratch.keep(named.select("block", "doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("row"), F.col("n.window").alias("windows"), F.col("n.place").alias("places"), F.col("n.first").alias("firsts")))
+    later = windows.join(confirmed, "window").where("doc_id > first")
+    check = F.shiftright(F.shiftleft("window", 32), 32).cast("int")
+    named = later.groupBy(F.pmod(F.xxhash64("doc_id"), blocks).alias("block"), "doc_id").agg(F.collect_list(F.struct("place", check.alias("check"), "first")).alias("n"))
+    named = scratch.keep(named.select("block", "doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("row"), F.col("n.place").alias("places"), F.col("n.check").alias("checks"), F.col("n.first").alias("firsts")))
     scratch.drop(windows, confirmed)
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("windows", "array<long>"), ("places", "array<int>"), ("firsts", "array<long>"))]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("places", "array<int>"), ("checks", "array<int>"), ("firsts", "array<long>"))]
     own = F.pmod(F.xxhash64(F.coalesce("doc_id", F.length("text").cast("long"), F.lit(0))), blocks).alias("block")
     both = docs.select(own, "doc_id", "text", F.lit(0).alias("row"), *none).unionByName(named)
     return both.repartition("block").sortWithinPartitions("block").mapInArrow(_clean(width), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -25,7 +25,7 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         # Lets Spark's cleaner remove the shuffle files of what is now written.
         gc.collect()
         self.spark._jvm.System.gc()
