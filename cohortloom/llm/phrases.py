@@ -7,8 +7,9 @@
     also gives the first document of each. Both counts combine before they
     shuffle, so a passage that a third of all documents share is no hot key.
 3.  Documents are dealt to blocks, and each block is told where confirmed
-    windows stand in it. The words at these places are compiled to the block's
-    automaton, and all documents of the block are streamed through it.
+    windows stand in it. Windows that follow each other are joined to passages,
+    the passages are compiled to the block's automaton, and all documents of the
+    block are streamed through it.
 """
 
 from __future__ import annotations
@@ -120,18 +121,27 @@ class _Block:
         return digits, parts.astype(np.uint32).tobytes().decode("utf-32-le")
 
     def automaton(self) -> ahocorasick.Automaton | None:
-        """Every named window, with the first document that has it."""
+        """The named passages, each with the first document that has its windows and its number of words.
+
+        Windows of a passage have one first document, so it holds for every place where the passage stands.
+        """
         built = ahocorasick.Automaton()
-        size = self.width * self.digits
-        for doc, places, checks, firsts in zip(*(self.named.column(c).to_pylist() for c in ("doc_id", "places", "checks", "firsts")), strict=True):
+        for doc, places, checks, firsts in zip(self.named.column("doc_id").to_pylist(), *(self.named.column(c) for c in ("places", "checks", "firsts")), strict=True):
+            place, check, first = (x.values.to_numpy() for x in (places, checks, firsts))
+            order = np.argsort(place)
+            place, check, first = place[order].astype(np.int64), check[order], first[order]
             for k in self.row_of.get(doc, []):
                 begin, end = int(self.words.first[k]), int(self.words.first[k + 1])
-                at = begin + np.array(places, np.int64)
-                fits = at + self.width <= end
+                fits = begin + place + self.width <= end
                 # Rows may share an id; the check tells whether this row has the window there.
-                fits[fits] = self.windows[at[fits]].astype(np.int32) == np.array(checks, np.int32)[fits]
-                for begin_, first in zip((at[fits] * self.digits).tolist(), np.array(firsts)[fits].tolist(), strict=True):
-                    built.add_word(self.coded[begin_ : begin_ + size], first)
+                fits[fits] = self.windows[begin + place[fits]].astype(np.int32) == check[fits]
+                at, own = begin + place[fits], first[fits]
+                if not len(at):
+                    continue
+                cut = np.flatnonzero((np.diff(at) != 1) | (own[1:] != own[:-1])) + 1
+                head, tail = at[np.append(0, cut)], at[np.append(cut - 1, len(at) - 1)] + self.width
+                for low, high, value in zip(head.tolist(), tail.tolist(), own[np.append(0, cut)].tolist(), strict=True):
+                    built.add_word(self.coded[low * self.digits : high * self.digits], (value, high - low))
         if not len(built):
             return None
         built.make_automaton()
@@ -145,15 +155,28 @@ class _Block:
             begin, end = int(self.words.first[k]), int(self.words.first[k + 1])
             change = np.zeros(end - begin + 1, np.int64)
             if automaton is not None and doc is not None and end - begin >= self.width:
-                last = [at for at, first in automaton.iter(self.coded[begin * self.digits : end * self.digits]) if first < doc]
-                if last:
-                    stop = np.array(last) // self.digits + 1
-                    np.add.at(change, stop - self.width, 1)
+                found = [(at, size) for at, (first, size) in automaton.iter(self.coded[begin * self.digits : end * self.digits]) if first < doc]
+                if found:
+                    stop, size = np.array(found).T
+                    stop = stop // self.digits + 1
+                    np.add.at(change, stop - size, 1)
                     np.add.at(change, stop, -1)
             out.append(np.cumsum(change[:-1]) > 0)
         return out
 
 
+    def joined(self, keep: np.ndarray) -> list[str]:
+        """The kept words of each document, joined by one space."""
+        start, size = self.words.start[keep], (self.words.end - self.words.start)[keep]
+        ends = np.cumsum(size + 1)
+        out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(ends - size - 1, size) + step] = self.data[np.repeat(start, size) + step]
+        before = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(keep)))[self.words.first]]
+        raw = out.tobytes()
+        return [raw[a : max(a, b - 1)].decode("utf-8", "replace") for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+
+
 def _clean(width: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(source, "block"):
@@ -161,14 +184,10 @@ def _clean(width: int):
             cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 block = _Block(table.slice(low, high - low), width)
-                start, stop = block.words.start, block.words.end
-                kept_text, counts, gone = [], [], []
-                for k, mask in enumerate(block.removed()):
-                    begin = int(block.words.first[k])
-                    own = np.flatnonzero(~mask) + begin
-                    kept_text.append(b" ".join(block.data[start[w] : stop[w]].tobytes() for w in own.tolist()).decode("utf-8", "replace"))
-                    counts.append(len(mask))
-                    gone.append(int(mask.sum()))
+                masks = block.removed()
+                gone = [int(m.sum()) for m in masks]
+                counts = [len(m) for m in masks]
+                kept_text = block.joined(~np.concatenate(masks) if masks else np.zeros(0, bool))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block.ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept_text, pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept_text"],
@@ -202,8 +221,8 @@ def repeated_passages(docs: DataFrame, width: int = 13, scratch: Scratch | None
     blocks = F.lit(chars // BLOCK_CHARS + 1)
     later = windows.join(confirmed, "window").where("doc_id > first")
     check = F.shiftright(F.shiftleft("window", 32), 32).cast("int")
-    named = later.groupBy(F.pmod(F.xxhash64("doc_id"), blocks).alias("block"), "doc_id").agg(F.collect_list(F.struct("place", check.alias("check"), "first")).alias("n"))
-    named = scratch.keep(named.select("block", "doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("row"), F.col("n.place").alias("places"), F.col("n.check").alias("checks"), F.col("n.first").alias("firsts")))
+    named = later.groupBy(F.pmod(F.xxhash64("doc_id"), blocks).alias("block"), "doc_id").agg(F.collect_list("place").alias("places"), F.collect_list(check).alias("checks"), F.collect_list("first").alias("firsts"))
+    named = scratch.keep(named.select("block", "doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("row"), "places", "checks", "firsts"))
     scratch.drop(windows, confirmed)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("places", "array<int>"), ("checks", "array<int>"), ("firsts", "array<long>"))]
     own = F.pmod(F.xxhash64(F.coalesce("doc_id", F.length("text").cast("long"), F.lit(0))), blocks).alias("block")
