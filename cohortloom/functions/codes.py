@@ -104,14 +104,20 @@ def matches_code(
 
 
 def canonical_float_code(value: Column) -> Column:
-    """Decimal text of a numeric code: ``250`` -> ``250.0``, ``250.10`` -> ``250.1``; other text unchanged."""
+    """Decimal text of a numeric code: ``250`` -> ``250.0``, ``.5`` -> ``0.5``, ``1e3`` -> ``1000.0``, ``-0`` -> ``-0.0``; other text unchanged.
+
+    Digits may be grouped by single underscores. Codes of over 25 digits or 10 decimals are no codes and stay as they are.
+    """
     text = strip(value)
-    number = text.try_cast("decimal(38,10)").cast("string")
+    bare = F.regexp_replace(text, r"(?<=[0-9])_(?=[0-9])", "")
+    scientific = bare.rlike(r"^[+-]?([0-9]{1,15}\.?[0-9]{0,10}|\.[0-9]{1,10})[eE][+-]?[0-9]{1,2}$")
+    number = F.when(scientific, bare.try_cast("double").try_cast("decimal(38,10)")).otherwise(bare.try_cast("decimal(38,10)")).cast("string")
     short = F.regexp_replace(number, "0+$", "")
     plain = F.when(short.endswith("."), F.concat(short, F.lit("0"))).otherwise(short)
     return (
-        F.when(text.endswith(".0"), text)
-        .when(text.rlike(r"^[+-]?[0-9]{1,25}(\.[0-9]{0,10})?$"), plain)
+        F.when(text.endswith(".0") & (text == bare) & text.rlike("^[^.]"), text)
+        .when(bare.rlike(r"^-0+(\.0*)?$"), F.lit("-0.0"))
+        .when((scientific | bare.rlike(r"^[+-]?([0-9]{1,25}(\.[0-9]{0,10})?|\.[0-9]{1,10})$")) & plain.isNotNull(), plain)
         .otherwise(text)
     )
 

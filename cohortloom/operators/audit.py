@@ -102,9 +102,10 @@ def label_audit(reconciled: DataFrame) -> DataFrame:
 def code_prevalence(events: DataFrame, matrix_codes: DataFrame) -> DataFrame:
     """Persons per cleaned code and name, and whether the matrix has the code.
 
+    A person with two spellings of a code's name counts once, under the least.
     ``matrix_codes`` (feature_id) lists the matrix columns.
     """
-    rows = events.filter(is_present_code(F.col("phecode"))).select("person_id", "phecode", "phecode_str").distinct()
+    rows = events.filter(is_present_code(F.col("phecode"))).groupBy("person_id", "phecode").agg(F.min("phecode_str").alias("phecode_str"))
     counts = rows.groupBy(canonical_float_code(F.col("phecode")).alias("phecode_key"), "phecode_str").agg(
         F.countDistinct("person_id").alias("patient_count")
     )

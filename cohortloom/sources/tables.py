@@ -156,10 +156,8 @@ def read_optional(spark: SparkSession, source: str | None, schema: T.StructType)
 def file_inventory(spark: SparkSession, required: Sequence[str]) -> DataFrame:
     """Existence and size of each required file; file contents are not read."""
     wanted = spark.createDataFrame([(path,) for path in required], "path string")
-    found = [path for pattern in required for path in matching_paths(spark, pattern)]
-    sizes = {path: _size(spark, path) for path in found}
     schema = "path string, size_bytes long"
-    rows = [(path, size) for path in required for name, size in sizes.items() if name.endswith(path)]
+    rows = [(path, sum(_size(spark, name) for name in found)) for path in required if (found := matching_paths(spark, path))]
     return wanted.join(spark.createDataFrame(rows, schema), "path", "left").withColumn(
         "present", F.col("size_bytes").isNotNull()
     )
