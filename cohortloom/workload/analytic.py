@@ -286,12 +286,13 @@ def false_discovery_rate(t: Roles) -> DataFrame:
     return adjust_fdr(tests).select("o_orderkey", r6("p_value_fdr").alias("p_value_fdr"))
 
 
-@query("T4 T1 T2 T3 X15 J6 L2", """
+_ENRICHMENT_SQL = """
     SELECT cluster, feature_id, cluster_patients, num_patients, rest_patients, rest_num_patients, round(cluster_prevalence, 6) AS cluster_prevalence,
       round(rest_prevalence, 6) AS rest_prevalence, round(prevalence_ratio, 6) AS prevalence_ratio, ratio_is_infinite, round(p_value, 6) AS p_value,
-      direction, round(p_value_fdr, 6) AS p_value_fdr, phecode, phecode_str, phecode_category FROM enrichment""", "enrichment")
-def feature_enrichment(t: Roles) -> DataFrame:
-    found = enrichment.sort_enrichment(_enrichment(t))
+      direction, round(p_value_fdr, 6) AS p_value_fdr, phecode, phecode_str, phecode_category FROM enrichment"""
+
+
+def _rounded_enrichment(found: DataFrame) -> DataFrame:
     infinite = F.coalesce(F.col("prevalence_ratio") == float("inf"), F.lit(False))
     return found.select(
         "cluster", "feature_id", "cluster_patients", "num_patients", "rest_patients", "rest_num_patients",
@@ -302,6 +303,11 @@ def feature_enrichment(t: Roles) -> DataFrame:
     )
 
 
+@query("T4 T1 T2 T3 X15 J6 L2", _ENRICHMENT_SQL, "enrichment")
+def feature_enrichment(t: Roles) -> DataFrame:
+    return _rounded_enrichment(enrichment.sort_enrichment(_enrichment(t)))
+
+
 @query("W3 F9", "SELECT cluster, feature_id, rank FROM ranked WHERE rank <= 5", "ranked")
 def top_enriched_features(t: Roles) -> DataFrame:
     return longs(enrichment.top_enriched(_enrichment(t), 5).select("cluster", "feature_id", "rank"), "rank")
@@ -383,10 +389,10 @@ def clustering_run(t: Roles) -> DataFrame:
     return run_clustering(t.saved.matrix, _RUN).assignments
 
 
-@query("E5 T4 A6 A7")
+@query("E5 T4", _ENRICHMENT_SQL, "enrichment")
 def interpretation_run(t: Roles) -> DataFrame:
     found = run_interpretation(t.saved.matrix, t.assignments, t.saved.metadata, t.cohort, trees=0)
-    return found.enrichment
+    return _rounded_enrichment(found.enrichment)
 
 
 @query("E6 K5 T6 T7")
