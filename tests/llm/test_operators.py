@@ -240,6 +240,22 @@ def test_lines_against_brute_force(spark):
     assert got[len(rows) - 1].n_removed == 6 and got[len(rows) - 1].text == ""
 
 
+def missed_bands(spark, common, own, pairs=4000):
+    """The share of pairs of sets, ``common`` elements in both and ``own`` in each, that have no bucket in common."""
+    side = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
+    rows = spark.range(pairs).select("id", side).select((2 * F.col("id") + F.col("side")).alias("line"), "id", "side", F.explode(F.sequence(F.lit(1), F.lit(common + own))).alias("k"))
+    sets = rows.select("line", F.xxhash64("id", "k", F.when(F.col("k") > common, F.col("side"))).alias("s"))
+    buckets = lines._minima(sets).select(F.floor(F.col("line") / 2).alias("id"), "buckets")
+    met = buckets.groupBy("id").agg(F.size(F.array_intersect(F.min("buckets"), F.max("buckets"))).alias("n"))
+    return met.where("n = 0").count() / pairs
+
+
+@pytest.mark.parametrize("common, own", [(8, 1), (16, 2), (80, 10)])
+def test_bands_meet_as_often_as_independent_hashes(spark, common, own):
+    # 0.8 similar: (1 - 0.8 ** 4) ** 10 = 0.5 %.
+    assert missed_bands(spark, common, own) < 0.01
+
+
 def test_pieces_round_trip(spark):
     rows = [*hard_texts(5), (900, "  two  blanks \n\n\t tab ▁ mark 一 ☃ \u0000 x"), (901, " "), (902, "é" * 3000)]
     df = make(spark, rows)
