@@ -256,6 +256,45 @@ def test_bands_meet_as_often_as_independent_hashes(spark, common, own):
     assert missed_bands(spark, common, own) < 0.01
 
 
+def test_lines_count_every_character(spark):
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14))
+    # Alike only in the first 8 characters of each word; without blanks and one character apart; astral characters.
+    urls = [" ".join(f"https://{word()}.org" for _ in range(5)) for _ in range(2)]
+    chinese = "".join(chr(0x4E00 + draw.randrange(2000)) for _ in range(120))
+    astral = "".join(chr(0x1F300 + draw.randrange(200)) for _ in range(120))
+    texts = [*urls, chinese, chinese[:60] + "\u4e00" + chinese[60:], astral, astral[1:], "five w o r ds", "five w o r dx"]
+    got = {r.doc_id: r.n_removed for r in deduplicate_lines(make(spark, list(enumerate(texts)))).collect()}
+    assert [got[k] for k in range(len(texts))] == [0, 0, 0, 1, 0, 1, 0, 0]
+
+
+def line_sets(key):
+    """Shingles at word starts and wherever a whole one fits in a word."""
+    starts = [i for i, c in enumerate(key) if not c.isspace() and (i == 0 or key[i - 1].isspace() or re.fullmatch(r"\S{8}", key[i : i + 8]))]
+    return {key[i : i + 8] for i in starts} if len(key) >= 24 or len(key.split()) >= 5 else set()
+
+
+def test_lines_of_long_words_are_brute_force(spark):
+    draw = random.Random(12)
+    word = lambda: "commonhead" + "".join(draw.choice("abcdefgh") for _ in range(draw.choice([4, 12])))
+    vocabulary = [word() for _ in range(50)]
+    base = ["".join(draw.choice(vocabulary) + draw.choice(["", " "]) for _ in range(12)).strip() for _ in range(20)]
+    texts = []
+    for line in base * 5:
+        at = draw.randrange(len(line) - 20)
+        texts.append(line[:at] + draw.choice(["", "zq", "zqzqzqzqzqzq"]) + line[at + draw.choice([0, 1, 20]) :])
+    texts = sorted({t.strip() for t in texts})
+    sets, group = [line_sets(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if group[i] != group[j] and 100 * len(a & b) >= 80 * len(a | b):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    gone = len(texts) - len(set(group))
+    found = deduplicate_lines(make(spark, list(enumerate(texts)))).agg(F.sum("n_removed")).first()[0]
+    assert gone > 20 and 0.98 * gone <= found <= gone
+
+
 def test_pieces_round_trip(spark):
     rows = [*hard_texts(5), (900, "  two  blanks \n\n\t tab ▁ mark 一 ☃ \u0000 x"), (901, " "), (902, "é" * 3000)]
     df = make(spark, rows)
