@@ -295,6 +295,27 @@ def test_lines_of_long_words_are_brute_force(spark):
     assert gone > 20 and 0.98 * gone <= found <= gone
 
 
+def test_lines_that_share_a_bucket_are_joined_if_alike(spark, monkeypatch):
+    monkeypatch.setattr(lines, "TILE", 40, raising=False)
+    draw = random.Random(6)
+    vocabulary = [f"word{k}" for k in range(900)]
+    base = [draw.choice(vocabulary) for _ in range(30)]
+    texts = []
+    for _ in range(700):
+        words = list(base)
+        for at in draw.sample(range(30), draw.choice([2, 3, 4, 6])):
+            words[at] = draw.choice(vocabulary)
+        texts.append(" ".join(words))
+    docs = make(spark, list(enumerate(texts)))
+    scratch = Scratch(spark)
+    bands = lines._bands(docs).select("line", F.explode("buckets").alias("bucket"))
+    pairs = bands.join(bands.withColumnRenamed("line", "v"), "bucket").where("line < v").select("line", "v").distinct().collect()
+    sets = {r.line: set(r.s) for r in docs.select(F.xxhash64("text").alias("line"), lines.line_shingles(F.col("text")).alias("s")).collect()}
+    links = [(u, v) for u, v in pairs if 100 * len(sets[u] & sets[v]) >= 80 * len(sets[u] | sets[v])]
+    expected = {(r.node, r.root) for r in components(spark.createDataFrame(links, "u long, v long"), scratch).collect()}
+    assert {(r.node, r.root) for r in components(lines._links(docs, 80, scratch), scratch).collect()} == expected
+
+
 def test_pieces_round_trip(spark):
     rows = [*hard_texts(5), (900, "  two  blanks \n\n\t tab ▁ mark 一 ☃ \u0000 x"), (901, " "), (902, "é" * 3000)]
     df = make(spark, rows)
