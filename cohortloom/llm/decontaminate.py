@@ -191,7 +191,7 @@ def _judge(parts, share: int):
             data, offsets = text_bytes(batch.column("text"))
             rows, carried = batch.num_rows, batch.schema.names[2:]
             total, hits = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-            found: list[set[str]] = [set() for _ in range(rows)]
+            found: list[set[str | None]] = [set() for _ in range(rows)]
             spans: list[list[list[int]]] = [[] for _ in range(rows)]
             # Of the shard, only what may be hit is held: place, row and number by part of the benchmark.
             held: list[list[tuple]] = [[] for _ in parts]
@@ -233,7 +233,7 @@ def _judge(parts, share: int):
                 for run_ in np.split(np.arange(merged.shape[1]), cut):
                     if len(run_):
                         spans[int(merged[0, run_[0]])].append([int(merged[1, run_[0]]), int(merged[1, run_[-1]]) + 1])
-            digest = [hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() if f else none for f in found]
+            digest = [hashlib.sha256(",".join(sorted(f - {None})).encode()).hexdigest() if f else none for f in found]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in carried), batch.column("doc_id"), pa.array(total), pa.array(hits.astype(np.int64)), pa.array([len(f) for f in found], pa.int64()), pa.array(digest), pa.array((hits > 0) & (share * hits >= total)), pa.array(spans, pa.list_(pa.list_(pa.int64())))],
                 names=[*carried, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
@@ -250,17 +250,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     if it has fewer; items without words or with null text have none. ``spans``
     are the merged ranges of hit words [first, last + 1), the ranges to remove.
     Contaminated: some word is hit and ``share * n_hit >= n_words``. A null
-    text has no words; null ids stay null. Items with one id count once.
+    text has no words; null ids stay null. Items with one id count once; all items
+    without id count as one more in ``n_items`` and are not named in the digest.
     Repeated rows are judged one by one; other columns are ignored. The
     benchmark is the query set: it goes to all tasks in parts of bounded size.
     """
     spark = docs.sparkSession
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("k"), F.col("text").cast("string").alias("t"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("k"), F.col("text").cast("string").alias("t"))
     size = items.agg(F.sum(F.length("t"))).first()[0] or 0
     count = -(-size // PART_CHARS) or 1
     parts = []
     for number in range(count):
-        own = items.where(F.pmod(F.xxhash64("k"), F.lit(count)) == number).orderBy("k").collect()
+        own = items.where(F.pmod(F.xxhash64("k"), F.lit(count)) == number).orderBy("k", "t").collect()
         parts.append(spark.sparkContext.broadcast(compile_phrases([(r["k"], r["t"]) for r in own], width)))
     asked = docs.select("doc_id", F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in asked.schema.fields[2:])

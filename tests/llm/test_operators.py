@@ -120,6 +120,13 @@ def test_contamination_is_brute_force(spark):
         assert sum(e - b for b, e in r.spans) == r.n_hit
 
 
+def test_items_without_id_hit(spark):
+    passage = " ".join(f"q{k}" for k in range(20))
+    items = spark.createDataFrame([(None, passage), ("a", "other words of an item")], "item_id string, text string")
+    got = contamination(make(spark, [(1, passage), (2, "nothing here")]), items).orderBy("doc_id").collect()
+    assert [(r.n_hit, r.n_items, r.contaminated) for r in got] == [(20, 1, True), (0, 0, False)]
+
+
 def test_passages_are_brute_force(spark):
     rows = hard_texts(2)
     first = {}
