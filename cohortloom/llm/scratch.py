@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """Writes tables once and reads them back, so that later stages survive lost executors.
@@ -25,10 +26,16 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
-        # Lets Spark's cleaner remove the shuffle files of what is now written.
-        gc.collect()
-        self.spark._jvm.System.gc()
+        before = self.spark.conf.get(_CLEANUP, None)
+        # The files of a shuffle that is now written are no longer read.
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

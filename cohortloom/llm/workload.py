@@ -11,7 +11,10 @@ from .decontaminate import contamination
 from .exact import exact_duplicates
 from .language import identify
 from .lines import deduplicate_lines
+from .merkle import verified_manifest
+from .negatives import hard_negatives
 from .ngram_join import ngram_jaccard_join
+from .order_minhash import edit_fingerprints
 from .phrases import repeated_passages
 from .pieces import encode_pieces
 from .quality import score_quality
@@ -149,3 +152,68 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return deduplicate_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+# CRC-32 bit by bit: each byte is mixed in, then eight steps of one bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT *, {_leaf("text")} AS leaf, CASE WHEN {_CRC} % 3 = 0 THEN {_leaf(f"translate(text, '{_A}', '{_Z}')")} ELSE {_leaf("text")} END AS forged FROM documents),
+l AS (SELECT doc_id, lang, leaf, forged, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+up(lang, level, pos, digest, n) AS (
+  SELECT lang, 0, pos, leaf, n FROM l
+  UNION ALL SELECT lang, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM up WHERE n > 1 GROUP BY lang, level, pos // 8, n),
+s AS (SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top(level, pos, digest, n) AS (
+  SELECT 0, pos, digest, n FROM s
+  UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY level, pos // 8, n),
+side AS (
+  SELECT lang, level, pos, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM up WINDOW w AS (PARTITION BY lang, level, pos // 8 ORDER BY pos)),
+rim AS (
+  SELECT level, pos, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM top WINDOW w AS (PARTITION BY level, pos // 8 ORDER BY pos)),
+walk(lang, own, level, pos, n, acc, proof) AS (
+  SELECT lang, pos, 0, pos, n, forged, '' FROM l
+  UNION ALL SELECT w.lang, w.own, w.level + 1, w.pos // 8, (w.n + 7) // 8, sha256(a || w.acc || b), w.proof || a || b
+  FROM walk w JOIN side ON side.lang IS NOT DISTINCT FROM w.lang AND side.level = w.level AND side.pos = w.pos WHERE w.n > 1),
+rise(lang, own, level, pos, n, acc, proof) AS (
+  SELECT w.lang, w.own, 0, s.pos, s.n, w.acc, w.proof FROM walk w JOIN s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL SELECT w.lang, w.own, w.level + 1, w.pos // 8, (w.n + 7) // 8, sha256(a || w.acc || b), w.proof || a || b
+  FROM rise w JOIN rim ON rim.level = w.level AND rim.pos = w.pos WHERE w.n > 1)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, top.digest AS root, sha256(rise.proof) AS proof_sha256, rise.acc AS folded_root, rise.acc = top.digest AS verified
+FROM l JOIN rise ON rise.lang IS NOT DISTINCT FROM l.lang AND rise.own = l.pos AND rise.n = 1 JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN top ON top.n = 1
+""")
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return verified_manifest(table(spark, folder, "documents"))
+
+
+@query("""
+WITH v AS (
+  SELECT DISTINCT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM m WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN m USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY rank <= 10
+""")
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives(table(spark, folder, "embeddings"))
+
+
+@query()
+def op13_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edit_fingerprints(table(spark, folder, "documents"))
