@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .samples import fold, held_out
+from .samples import drawn, fold, held_out
 from .words import LOWER, batches, pieces, text_bytes, weights
 
 #: Hash buckets of byte trigrams.
@@ -148,7 +148,7 @@ def _predict(sent):
 
 def training_rows(docs: DataFrame, limit: int = SAMPLE) -> list[tuple[str, str]]:
     usable = docs.where((fold("doc_id", 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = usable.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(limit).collect()
+    rows = drawn(usable.select("doc_id", "text", "lang"), limit).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id", "lang").limit(limit).collect()
     return [(r["text"], r["lang"]) for r in rows]
 
 

@@ -129,12 +129,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _neighbours(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """``key``, ``next``, ``need``: each document's successor and how much of it the edited text takes; whether rows repeat."""
+    """``key``, ``doc_id``, ``next``, ``need``: each document's successor and how much of it the edited text takes; whether rows repeat."""
     rows = scratch.keep(docs.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first(F.char_length("text")).alias("n_chars"), F.count("*").alias("copies")))
     placed = scratch.keep(ranked(rows, [], [F.desc_nulls_last("doc_id"), F.col("key")], scratch))
     after = placed.select(F.col("key").alias("next"), F.col("rank").alias("place"))
-    links = placed.select("key", F.floor(F.col("n_chars") / 3).alias("need"), F.pmod(F.col("rank") + 1, F.col("total")).alias("place")).join(after, "place")
-    return scratch.keep(links.select("key", "next", "need")), not rows.where("copies > 1").isEmpty()
+    links = placed.select("key", "doc_id", F.floor(F.col("n_chars") / 3).alias("need"), F.pmod(F.col("rank") + 1, F.col("total")).alias("place")).join(after, "place")
+    return scratch.keep(links.select("key", "doc_id", "next", "need")), not rows.where("copies > 1").isEmpty()
 
 
 def edited_texts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -147,9 +147,10 @@ def edited_texts(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), text), 256)
     plain = docs.select("doc_id", text.alias("text"), key.alias("key"))
     links, repeated = _neighbours(plain, scratch)
-    dealt = plain.repartition("key")
-    asked = links.select(F.col("key").alias("asker"), F.col("next").alias("key"), "need")
-    heads = dealt.select("key", "text").join(asked, "key").select(F.col("asker").alias("key"), F.expr("substring(text, 1, int(need))").alias("head"))
+    # Both joins read these columns and no others, so that Spark makes one shuffle of them.
+    dealt = plain.select("key", "text")
+    asked = links.select(F.col("key").alias("asker"), F.col("doc_id"), F.col("next").alias("key"), "need")
+    heads = dealt.join(asked, "key").select(F.col("asker").alias("key"), "doc_id", F.expr("substring(text, 1, int(need))").alias("head"))
     if repeated:
         heads = heads.dropDuplicates(["key"])
     size = F.char_length("text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,15 @@ from .words import batches, mix, weights
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _MARK = "▁"
 _NORMAL, _BYTE = 1, 6
-_CODE, _PLACE = weights(1, 41)[0], weights(64, 43)
+_CODE, _BASE = weights(1, 41)[0], weights(1, 43)[0]
 #: Penalty of a byte piece below the least score, as for unknown characters.
 UNKNOWN_PENALTY = 10.0
 #: Words of one length that advance together.
 AT_ONCE = 1 << 14
+#: Distinct words whose pieces a task remembers from batch to batch; then it begins anew.
+REMEMBERED = 1 << 18
+#: Bits of the filter that is asked before the sorted keys.
+FILTER_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -31,6 +36,7 @@ class Pieces:
     keys: np.ndarray
     ids: np.ndarray
     scores: np.ndarray
+    maybe: np.ndarray
     byte_ids: np.ndarray
     text: list[bytes]
     longest: int
@@ -62,72 +68,115 @@ def load_pieces(spark: SparkSession, path: str) -> Pieces:
     if (byte_ids < 0).any():
         raise ValueError("the model has no byte pieces")
     scores = np.array([s for _, _, s in normal])
-    return Pieces(keys[order], np.array([k for k, _, _ in normal])[order], scores[order], byte_ids, text, max(len(p) for _, p, _ in normal), float(scores.min() - UNKNOWN_PENALTY), model.normalizer_spec.add_dummy_prefix)
+    maybe = np.zeros(1 << FILTER_BITS, bool)
+    maybe[keys >> np.uint64(64 - FILTER_BITS)] = True
+    return Pieces(keys[order], np.array([k for k, _, _ in normal])[order], scores[order], maybe, byte_ids, text, max(len(p) for _, p, _ in normal), float(scores.min() - UNKNOWN_PENALTY), model.normalizer_spec.add_dummy_prefix)
+
+
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the odd base and of its inverse, modulo 2^64."""
+    one = np.ones(count, np.uint64)
+    one[1:] = _BASE
+    back = one.copy()
+    back[1:] = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    return np.cumprod(one, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+
+
+def _prefixes(codes: np.ndarray) -> np.ndarray:
+    """Sums of the scrambled codes times powers of the base, up to every place of each row."""
+    count, size = codes.shape
+    out = np.zeros((count, size + 1), np.uint64)
+    np.cumsum(mix((codes.astype(np.uint64) + _CODE).ravel()).reshape(count, size) * _powers(size)[0], axis=1, dtype=np.uint64, out=out[:, 1:])
+    return out
 
 
 def _hash_of(piece: str) -> int:
-    codes = np.array([ord(c) for c in piece], np.uint64)
-    return int(mix(np.array([(mix(codes + _CODE) * _PLACE[: len(codes)]).sum(dtype=np.uint64)], np.uint64))[0])
+    codes = np.array([[ord(c) for c in piece]], np.uint64)
+    return int(mix(_prefixes(codes)[:, -1])[0])
 
 
 def viterbi(codes: np.ndarray, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Best segmentations of words of one length (word x character): for every end, id and length of the last piece; id -1 is a character without piece."""
+    """Best segmentations of words of one length (word x character): for every end, id and length of the last piece; id -1 is a character without piece.
+
+    The hash of a substring is the difference of two prefixes, shifted back to
+    the beginning of the word. Most substrings are no piece; a filter tells
+    that of nearly all of them before the sorted keys are searched.
+    """
     count, size = codes.shape
-    scrambled = mix((codes.astype(np.uint64) + _CODE).ravel()).reshape(count, size)
+    prefix, back = _prefixes(codes), _powers(size + 1)[1]
     best = np.full((count, size + 1), -np.inf)
     best[:, 0] = 0
     last_id, last_size = np.full((count, size + 1), -1, np.int64), np.ones((count, size + 1), np.int64)
-    rows = np.arange(count)
     for end in range(1, size + 1):
-        widest = min(end, table.longest)
-        # One column for each piece length ending here, longest first.
-        tried = np.full((count, widest), -np.inf)
-        ids = np.full((count, widest), -1, np.int64)
-        for width in range(1, widest + 1):
-            part = scrambled[:, end - width : end]
-            key = mix((part * _PLACE[:width]).sum(axis=1, dtype=np.uint64))
-            at = np.minimum(np.searchsorted(table.keys, key), len(table.keys) - 1)
-            found = table.keys[at] == key
-            before = best[:, end - width]
-            tried[:, width - 1] = np.where(found, before + table.scores[at], before + table.floor if width == 1 else -np.inf)
-            ids[:, width - 1] = np.where(found, table.ids[at], -1)
-        choice = tried.argmax(axis=1)
-        best[:, end], last_id[:, end], last_size[:, end] = tried[rows, choice], ids[rows, choice], choice + 1
+        # Shortest pieces first: of equal sums the shortest last piece stays.
+        for width in range(1, min(end, table.longest) + 1):
+            begin = end - width
+            key = mix((prefix[:, end] - prefix[:, begin]) * back[begin])
+            asked = np.flatnonzero(table.maybe[key >> np.uint64(64 - FILTER_BITS)])
+            at = np.minimum(np.searchsorted(table.keys, key[asked]), len(table.keys) - 1)
+            hit = table.keys[at] == key[asked]
+            rows, at = asked[hit], at[hit]
+            if width == 1:
+                best[:, end] = best[:, begin] + table.floor
+                best[rows, end] = best[rows, begin] + table.scores[at]
+                last_id[rows, end] = table.ids[at]
+                continue
+            tried = best[rows, begin] + table.scores[at]
+            better = tried > best[rows, end]
+            rows, at = rows[better], at[better]
+            best[rows, end], last_id[rows, end], last_size[rows, end] = tried[better], table.ids[at], width
     return last_id, last_size
 
 
-def _segment(words: list[str], table: Pieces) -> list[list[int]]:
-    """Piece ids of each word; equal lengths advance together."""
-    out: list[list[int]] = [[] for _ in words]
-    sizes = np.array([len(w) for w in words])
+def _walk_back(last_id: np.ndarray, last_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, piece id and end of every piece, by row and place."""
+    count, size = last_id.shape
+    end, open_ = np.full(count, size - 1), np.arange(count)
+    rows, ids, ends = [], [], []
+    while len(open_):
+        at = end[open_]
+        rows.append(open_)
+        ids.append(last_id[open_, at])
+        ends.append(at)
+        end[open_] = at - last_size[open_, at]
+        open_ = open_[end[open_] > 0]
+    row, place = np.concatenate(rows), np.concatenate(ends)
+    order = np.lexsort((place, row))
+    return row[order], np.concatenate(ids)[order], place[order]
+
+
+def _segment(words: list[str], table: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all words in a row, and how many each word has; equal lengths advance together."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    owner, found = [], []
     for size in np.unique(sizes).tolist():
         same = np.flatnonzero(sizes == size)
         step = max(1, min(AT_ONCE, (1 << 20) // max(size, 1)))
         for begin in range(0, len(same), step):
             chosen = same[begin : begin + step]
-            codes = np.frombuffer("".join(words[k] for k in chosen).encode("utf-32-le"), np.uint32).reshape(len(chosen), size)
-            last_id, last_size = viterbi(codes, table)
-            end, ids = np.full(len(chosen), size), [[] for _ in chosen]
-            open_ = np.arange(len(chosen))
-            while len(open_):
-                own, at = last_id[open_, end[open_]], end[open_]
-                for k, piece, place in zip(open_.tolist(), own.tolist(), at.tolist(), strict=True):
-                    if piece >= 0:
-                        ids[k].append(piece)
-                    else:
-                        ids[k].extend(table.byte_ids[list(words[chosen[k]][place - 1].encode())][::-1].tolist())
-                end[open_] -= last_size[open_, at]
-                open_ = open_[end[open_] > 0]
-            for k, found in zip(chosen.tolist(), ids, strict=True):
-                out[k] = found[::-1]
-    return out
+            codes = np.frombuffer("".join([words[k] for k in chosen.tolist()]).encode("utf-32-le"), np.uint32).reshape(len(chosen), size)
+            row, ids, place = _walk_back(*viterbi(codes, table))
+            if (ids < 0).any():
+                # A character without piece becomes its bytes.
+                parts = [[k] if k >= 0 else table.byte_ids[list(chr(codes[r, p - 1]).encode())].tolist() for r, k, p in zip(row.tolist(), ids.tolist(), place.tolist(), strict=True)]
+                row, ids = np.repeat(row, [len(p) for p in parts]), np.array([k for p in parts for k in p], np.int64)
+            owner.append(chosen[row])
+            found.append(ids)
+    if not owner:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    own = np.concatenate(owner)
+    return np.concatenate(found)[np.argsort(own, kind="stable")].astype(np.int32), np.bincount(own, minlength=len(words))
 
 
 class Encoder:
-    """Encodes texts; words seen before in the same batch are looked up."""
+    """Encodes texts; words seen before are looked up, up to ``REMEMBERED`` of them."""
 
     def __init__(self, table: Pieces):
         self.table = table
+        self.number: dict[str, int] = {}
+        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        lengths = np.array([len(t) for t in table.text], np.int64)
+        self.bytes, self.length, self.begin = np.frombuffer(b"".join(table.text), np.uint8), lengths, np.cumsum(lengths) - lengths
 
     def words(self, text: str) -> list[str]:
         """Cuts before each run of blanks: no piece goes across such a place."""
@@ -141,35 +190,54 @@ class Encoder:
                 run = 0
         return [*out, _MARK * run] if run else out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all texts in a row, and how many each text has."""
+        if len(self.number) > REMEMBERED:
+            self.number, self.flat, self.size = {}, self.flat[:0], self.size[:0]
+        number, known = self.number, len(self.number)
         split = [self.words(t) for t in texts]
-        number: dict[str, int] = {}
-        rows = [np.fromiter((number.setdefault(w, len(number)) for w in row), np.int64, len(row)) for row in split]
-        ids = _segment(list(number), self.table)
-        flat = np.fromiter((i for word in ids for i in word), np.int32)
-        size = np.array([len(w) for w in ids], np.int64)
-        start = np.cumsum(size) - size
-        out = []
-        for row in rows:
-            count = size[row]
-            at = np.repeat(start[row] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            out.append(flat[at])
-        return out
+        row = np.fromiter((number.setdefault(w, len(number)) for words in split for w in words), np.int64)
+        if len(number) > known:
+            fresh = list(islice(number, known, None))
+            flat, size = _segment(fresh, self.table)
+            self.flat, self.size = np.concatenate((self.flat, flat)), np.concatenate((self.size, size))
+        ids = self.flat[_spans((np.cumsum(self.size) - self.size)[row], self.size[row])]
+        ends = np.concatenate(([0], np.cumsum(self.size[row])))
+        words = np.cumsum([0, *(len(words) for words in split)])
+        return ids, np.diff(ends[words])
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join([self.table.text[k] for k in ids.tolist()]).decode("utf-8", "replace")
         return text[1:] if self.table.dummy_prefix and text.startswith(" ") else text
 
+    def gives_back(self, ids: np.ndarray, count: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each text's pieces, without the blank put before it, are the bytes of the text."""
+        made = self.bytes[_spans(self.begin[ids], self.length[ids])]
+        ends = np.concatenate(([0], np.cumsum(self.length[ids])))[np.concatenate(([0], np.cumsum(count)))]
+        begin, size, want = ends[:-1], np.diff(ends), np.diff(offsets)
+        if self.table.dummy_prefix:
+            begin, size = begin + (size > 0), size - (size > 0)
+        fits = size == want
+        rows = np.flatnonzero(fits & (want > 0))
+        same = made[_spans(begin[rows], want[rows])] == data[_spans(offsets[:-1][rows], want[rows])]
+        if len(rows):
+            fits[rows] = np.logical_and.reduceat(same, np.cumsum(want[rows]) - want[rows])
+        return fits
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of consecutive runs."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
 
 def _encoded(sent):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(sent.value)
-        for batch, _, _ in batches(source):
-            texts = batch.column("text").to_pylist()
-            ids = coder.encode([t or "" for t in texts])
-            same = [coder.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
-            ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-            values = pa.ListArray.from_arrays(ends, np.concatenate(ids) if ids else np.zeros(0, np.int32))
+        for batch, data, offsets in batches(source):
+            ids, count = coder.encode([t or "" for t in batch.column("text").to_pylist()])
+            same = coder.gives_back(ids, count, data, offsets)
+            ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+            values = pa.ListArray.from_arrays(ends, ids)
             names = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), values, pa.array(np.diff(ends).astype(np.int64)), pa.array(same)], names=[*names, "piece_ids", "n_pieces", "round_trip"])
 
