@@ -248,7 +248,25 @@ def silhouette_of_labels(t: Roles) -> DataFrame:
     return rounded(silhouette(_rows(t), t.point_labels), "silhouette")
 
 
-@query("M19")
+def _merge_sql(target: int, rounds: int) -> str:
+    """``rounds`` steps of the same kind; a step with no more than ``target`` clusters left changes nothing."""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""
+    l{k} AS (SELECT * FROM r{k} WHERE (SELECT count(*) FROM r{k}) > {target} ORDER BY n, label LIMIT 1),
+    i{k} AS (SELECT r.label AS into_label, l.label AS gone, l.n AS more, l.s AS plus, l.held AS also FROM r{k} r, l{k} l WHERE r.label <> l.label
+      ORDER BY list_distance(list_transform(r.s, lambda x: x / r.n), list_transform(l.s, lambda x: x / l.n)), r.label LIMIT 1),
+    r{k + 1} AS (SELECT label, CASE WHEN label = into_label THEN n + more ELSE n END AS n,
+      CASE WHEN label = into_label THEN list_transform(list_zip(s, plus), lambda z: z[1] + z[2]) ELSE s END AS s,
+      CASE WHEN label = into_label THEN list_concat(held, also) ELSE held END AS held FROM r{k} LEFT JOIN i{k} ON true WHERE gone IS NULL OR label <> gone)""")
+    return f"""
+    WITH c AS (SELECT label, pc, sum(x) AS x, count(*) AS n FROM ({_LONG_POINTS}) GROUP BY label, pc),
+    r0 AS (SELECT CAST(label AS BIGINT) AS label, max(n) AS n, list(x ORDER BY pc) AS s, [CAST(label AS BIGINT)] AS held FROM c GROUP BY label),{",".join(steps)},
+    m AS (SELECT unnest(held) AS own, row_number() OVER (ORDER BY label) - 1 AS merged FROM r{rounds})
+    SELECT id, CAST(merged AS BIGINT) AS label FROM points JOIN m ON own = label"""
+
+
+@query("M19", _merge_sql(5, 12), "points")
 def merge_small_clusters(t: Roles) -> DataFrame:
     return community.merge_to_target(_rows(t), t.point_labels, 5)
 
@@ -321,10 +339,10 @@ def forest_importance(t: Roles) -> DataFrame:
 @query("T7", """
     , sc AS (SELECT c.cluster, b.baseline_cluster, coalesce(p.n, 0) * 2 + coalesce(k.n, 0) AS score
       FROM (SELECT DISTINCT cluster FROM ranked) c CROSS JOIN (SELECT DISTINCT baseline_cluster FROM baseline) b
-      LEFT JOIN (SELECT cluster, baseline_cluster, count(DISTINCT phecode) AS n FROM ranked JOIN baseline USING (phecode) WHERE rank <= 10 GROUP BY ALL) p
+      LEFT JOIN (SELECT cluster, baseline_cluster, count(DISTINCT phecode) AS n FROM ranked JOIN baseline USING (phecode) WHERE rank <= 30 GROUP BY ALL) p
         ON p.cluster = c.cluster AND p.baseline_cluster = b.baseline_cluster
       LEFT JOIN (SELECT cluster, baseline_cluster, count(DISTINCT com_category) AS n FROM ranked r JOIN baseline b2 ON r.phecode_category = b2.com_category
-        WHERE rank <= 10 GROUP BY ALL) k ON k.cluster = c.cluster AND k.baseline_cluster = b.baseline_cluster),
+        WHERE rank <= 30 GROUP BY ALL) k ON k.cluster = c.cluster AND k.baseline_cluster = b.baseline_cluster),
     cl AS (SELECT cluster, row_number() OVER (ORDER BY cluster) AS i FROM (SELECT DISTINCT cluster FROM sc)),
     w(i, path, total) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT)
       UNION ALL SELECT w.i + 1, list_append(path, baseline_cluster), CAST(total + score AS BIGINT) FROM w JOIN cl ON cl.i = w.i + 1 JOIN sc ON sc.cluster = cl.cluster
@@ -435,9 +453,9 @@ def reference_matrix_check(t: Roles) -> DataFrame:
 @query("E10 M25 K7 S10")
 def replay_of_stored_clusters(t: Roles) -> DataFrame:
     m = t.saved.matrix
-    settings = replace(ReplaySettings(), pca_n_components=20)
+    settings = ReplaySettings()
     vectors, _ = embedding.person_vectors(m.persons, features.normalize_log1p(m.cells))
-    points = embedding.first_components(embedding.principal_components(cut_lineage(vectors), 20).scores, 15)
+    points = embedding.first_components(embedding.principal_components(cut_lineage(vectors), settings.pca_n_components).scores, 15)
     stored = cut_lineage(fuzzy.build_graph(points, settings.n_neighbors, "fuzzy"))
     return replay_report(reproduce(m, stored, t.assignments, settings))
 

@@ -332,14 +332,14 @@ def persons_without_events(t: Roles) -> DataFrame:
     SELECT c.cluster, b.baseline_cluster, coalesce(p.n, 0) AS phecode_overlap, coalesce(k.n, 0) AS category_overlap,
       2 * coalesce(p.n, 0) + coalesce(k.n, 0) AS score
     FROM (SELECT DISTINCT cluster FROM ranked) c CROSS JOIN (SELECT DISTINCT baseline_cluster FROM baseline) b
-    LEFT JOIN (SELECT cluster, baseline_cluster, count(DISTINCT phecode) AS n FROM ranked JOIN baseline USING (phecode) WHERE rank <= 10 GROUP BY ALL) p
+    LEFT JOIN (SELECT cluster, baseline_cluster, count(DISTINCT phecode) AS n FROM ranked JOIN baseline USING (phecode) WHERE rank <= 30 GROUP BY ALL) p
       ON p.cluster = c.cluster AND p.baseline_cluster = b.baseline_cluster
     LEFT JOIN (SELECT cluster, baseline_cluster, count(DISTINCT com_category) AS n FROM ranked r JOIN baseline b2 ON r.phecode_category = b2.com_category
-      WHERE rank <= 10 GROUP BY ALL) k ON k.cluster = c.cluster AND k.baseline_cluster = b.baseline_cluster""", "ranked baseline")
+      WHERE rank <= 30 GROUP BY ALL) k ON k.cluster = c.cluster AND k.baseline_cluster = b.baseline_cluster""", "ranked baseline")
 def signature_match_scores(t: Roles) -> DataFrame:
     from ..operators.matching import score_matches
 
-    return score_matches(cut_lineage(_enrichment(t)), t.baseline, 10)
+    return score_matches(cut_lineage(_enrichment(t)), t.baseline)
 
 
 @query("J16 A19 T10", """

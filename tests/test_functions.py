@@ -4,6 +4,8 @@ from fractions import Fraction
 from math import comb
 
 import numpy as np
+import math
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,3 +94,17 @@ def test_fisher_equals_rational_arithmetic(data):
     exact = Fraction(sum(w for w in ways if w <= ways[hits - low]), comb(total, marked))
     got = two_sided(np.array([hits]), np.array([drawn]), np.array([marked]), np.array([total]))[0]
     assert got == pytest.approx(float(exact), rel=1e-9)
+
+
+@pytest.mark.parametrize(("hits", "drawn", "marked", "total"), [(30, 300, 6_000_000, 10**8), (170, 300, 5 * 10**7, 10**8), (0, 250, 10**6, 10**8), (299, 300, 99_000_000, 10**8), (12, 400, 400, 10**8), (7, 20, 9, 29)])
+def test_fisher_of_large_totals_equals_integers(hits, drawn, marked, total):
+    """The same sum over exact integer counts of tables."""
+    low, high = max(0, drawn + marked - total), min(drawn, marked)
+    ways = {low: math.comb(marked, low) * math.comb(total - marked, drawn - low)}
+    for x in range(low, high):
+        ways[x + 1] = ways[x] * (marked - x) * (drawn - x) // ((x + 1) * (total - marked - drawn + x + 1))
+    # No likelier than the observed table, ties included.
+    rare = sum(w for w in ways.values() if w * 10**7 <= ways[hits] * (10**7 + 1))
+    want = rare * 10**400 // math.comb(total, drawn)
+    got = two_sided([hits], [drawn], [marked], [total])[0]
+    assert math.log(got) == pytest.approx(math.log(want) - 400 * math.log(10), abs=1e-9)
