@@ -20,12 +20,37 @@ def missing_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).distinct().join(right.select(key), key, "left_anti")
 
 
-def translate_ids(rows: DataFrame, crosswalk: DataFrame, source: str, target: str, key: str = "person_id") -> DataFrame:
-    """Replace ids through a crosswalk; ids without an entry become NULL."""
+def translate_ids(
+    rows: DataFrame, crosswalk: DataFrame, source: str, target: str, key: str = "person_id", missing: str = "null"
+) -> DataFrame:
+    """Replace ids through a crosswalk.
+
+    Ids without an entry become NULL (``missing="null"``), or fail the job that
+    meets one (``missing="error"``). A null id has no entry.
+    """
+    if missing not in ("null", "error"):
+        raise ValueError("missing must be null or error")
     side = crosswalk.select(
         drop_point_zero(F.col(source)).alias("_from"), drop_point_zero(F.col(target)).alias("_to")
     ).distinct()
-    return rows.join(side, drop_point_zero(F.col(key)) == F.col("_from"), "left").drop("_from", key).withColumnRenamed("_to", key)
+    joined = rows.join(side, drop_point_zero(F.col(key)) == F.col("_from"), "left")
+    if missing == "error":
+        text = F.concat(F.lit("no entry in the crosswalk for id "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+        joined = joined.withColumn("_to", F.when(F.col("_to").isNull(), F.raise_error(text)).otherwise(F.col("_to")))
+    return joined.drop("_from", key).withColumnRenamed("_to", key)
+
+
+def untranslated(rows: DataFrame, crosswalk: DataFrame, source: str, target: str, key: str = "person_id") -> DataFrame:
+    """One row: how many rows and distinct ids a translation meets, and how many of each have no entry."""
+    side = crosswalk.filter(F.col(target).isNotNull()).select(drop_point_zero(F.col(source)).alias("_from")).distinct()
+    per_id = rows.groupBy(drop_point_zero(F.col(key)).alias("_id")).agg(F.count(F.lit(1)).alias("n"))
+    known = per_id.join(side.withColumn("found", F.lit(True)), F.col("_id") == F.col("_from"), "left")
+    lost = F.col("found").isNull()
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return known.agg(
+        whole(F.sum("n")).alias("rows"), F.count(F.lit(1)).alias("ids"),
+        whole(F.sum(F.when(lost, F.col("n")))).alias("missing_rows"), whole(F.sum(lost.cast("long"))).alias("missing_ids"),
+    )
 
 
 def common_cells(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -333,7 +333,7 @@ def top_enriched_features(t: Roles) -> DataFrame:
 
 @query("T5")
 def forest_importance(t: Roles) -> DataFrame:
-    return enrichment.forest_importance(t.saved.matrix.cells, _labels(t), trees=100, max_depth=8)
+    return enrichment.forest_importance(t.saved.matrix.cells, _labels(t))
 
 
 @query("T7", """
@@ -397,8 +397,7 @@ def disclosure_summary(t: Roles) -> DataFrame:
 # --- plans ----------------------------------------------------------------------
 
 _RUN = replace(
-    ClusterSettings(), preprocess_method="scanpy_log1p", pca_n_components=15, neighbors_n_pcs=10, n_neighbors=15,
-    graph_method="fuzzy", resolution_grid=(0.5, 1.0), random_seed=0,
+    ClusterSettings(), preprocess_method="scanpy_log1p", graph_method="fuzzy", random_seed=0,
 )
 
 
@@ -407,10 +406,21 @@ def clustering_run(t: Roles) -> DataFrame:
     return run_clustering(t.saved.matrix, _RUN).assignments
 
 
-@query("E5 T4", _ENRICHMENT_SQL, "enrichment")
+def _cells_of(df: DataFrame, section: str, keys: list[str], values: list[str]) -> DataFrame:
+    """(section, item, measure, value): one row for each value of each row."""
+    item = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    measures = F.explode(F.array(*[F.struct(F.lit(v).alias("measure"), r6(F.col(v).cast("double")).alias("value")) for v in values]))
+    return df.select(F.lit(section).alias("section"), item.alias("item"), measures.alias("m")).select("section", "item", "m.measure", "m.value")
+
+
+@query("E5 T4 T5 A6 A7")
 def interpretation_run(t: Roles) -> DataFrame:
-    found = run_interpretation(t.saved.matrix, t.assignments, t.saved.metadata, t.cohort, trees=0)
-    return _rounded_enrichment(found.enrichment)
+    """All four results of the run, importance of the whole forest included."""
+    found = run_interpretation(t.saved.matrix, t.assignments, t.saved.metadata, t.cohort)
+    tests = _cells_of(cut_lineage(found.enrichment), "enrichment", ["cluster", "feature_id"], ["cluster_patients", "rest_patients", "cluster_prevalence", "rest_prevalence", "p_value", "p_value_fdr"])
+    summary = _cells_of(found.summary, "summary", ["cluster"], ["n_patients", "percent", "death_rate", "median_visits", "gmfcs_available"])
+    levels = _cells_of(found.levels, "levels", ["cluster", "gmfcs_level"], ["n", "percent"])
+    return tests.unionByName(summary).unionByName(levels).unionByName(_cells_of(found.importance, "importance", ["feature_id"], ["importance"]))
 
 
 @query("E6 K5 T6 T7")

@@ -322,6 +322,17 @@ def translate_ids(t: Roles) -> DataFrame:
     return audit.translate_ids(rows, t.table("orders", "o_orderkey", "o_custkey"), "o_orderkey", "o_custkey")
 
 
+@query("J10", """
+    SELECT count(*) AS rows, count(DISTINCT l_orderkey) AS ids, CAST(count(*) FILTER (o_orderkey IS NULL) AS BIGINT) AS missing_rows,
+      CAST(count(DISTINCT l_orderkey) FILTER (o_orderkey IS NULL) AS BIGINT) AS missing_ids
+    FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey""")
+def untranslated_ids(t: Roles) -> DataFrame:
+    """A crosswalk of the finished orders only, so ids of the others have no entry."""
+    finished = t.table("orders", "o_orderkey", "o_custkey", "o_orderstatus").filter("o_orderstatus = 'F'")
+    rows = t.table("lineitem", "l_orderkey").select(F.col("l_orderkey").alias("person_id"))
+    return audit.untranslated(rows, finished, "o_orderkey", "o_custkey")
+
+
 @query("J12 U4", "SELECT c_custkey AS person_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 def persons_without_events(t: Roles) -> DataFrame:
     people = t.cohort_table.select("person_id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.codes import canonical_float_code
 from cohortloom.operators.community import letters
 from cohortloom.operators.grid import adjust_fdr
+from cohortloom.operators import audit
 from cohortloom.operators.matching import best_assignment
 from cohortloom.sources.tables import file_inventory
 
@@ -55,3 +56,15 @@ def test_inventory_does_not_match_by_ending(spark, tmp_path):
     wanted = [f"{tmp_path}/a.csv", f"{tmp_path}/none.csv"]
     got = {r.path: (r.size_bytes, r.present) for r in file_inventory(spark, wanted).collect()}
     assert got == {wanted[0]: (1, True), wanted[1]: (None, False)}
+
+
+def test_missing_ids_are_counted_or_fail(spark):
+    rows = spark.createDataFrame([("1.0", 1), ("1", 2), ("2", 3), ("9", 4), (None, 5), ("3", 6)], "person_id string, n int")
+    crosswalk = spark.createDataFrame([("1", "a"), ("2.0", "b"), ("3", None)], "old string, new string")
+    told = audit.untranslated(rows, crosswalk, "old", "new").first().asDict()
+    assert told == {"rows": 6, "ids": 5, "missing_rows": 3, "missing_ids": 3}
+    assert {r["n"]: r["person_id"] for r in audit.translate_ids(rows, crosswalk, "old", "new").collect()} == {1: "a", 2: "a", 3: "b", 4: None, 5: None, 6: None}
+    assert audit.translate_ids(rows.filter("n < 4"), crosswalk, "old", "new", missing="error").count() == 3
+    with pytest.raises(Exception, match="no entry in the crosswalk for id 9"):
+        audit.translate_ids(rows.filter("n = 4"), crosswalk, "old", "new", missing="error").collect()
+    assert audit.untranslated(rows.limit(0), crosswalk, "old", "new").first().asDict() == {"rows": 0, "ids": 0, "missing_rows": 0, "missing_ids": 0}
