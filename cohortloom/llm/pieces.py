@@ -24,7 +24,9 @@ UNKNOWN_PENALTY = 10.0
 #: Words of one length that advance together.
 AT_ONCE = 1 << 14
 #: Distinct words whose pieces a task remembers from batch to batch; then it begins anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
+#: Bytes of text encoded at once; a longer text alone.
+ENCODED_BYTES = 1 << 19
 #: Bits of the filter that is asked before the sorted keys.
 FILTER_BITS = 20
 
@@ -226,14 +228,18 @@ class Encoder:
 
 
 def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places of consecutive runs."""
-    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    """The places of consecutive runs, in 32 bits where that holds them."""
+    total = int(size.sum())
+    kind = np.int32 if max(total, int(begin.max(initial=0)) + total) < 1 << 31 else np.int64
+    out = np.repeat((begin - (np.cumsum(size) - size)).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def _encoded(sent):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(sent.value)
-        for batch, data, offsets in batches(source):
+        for batch, data, offsets in batches(source, limit=ENCODED_BYTES):
             ids, count = coder.encode([t or "" for t in batch.column("text").to_pylist()])
             same = coder.gives_back(ids, count, data, offsets)
             ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)

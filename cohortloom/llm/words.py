@@ -104,11 +104,11 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(total)
 
 
-def batches(source: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def batches(source: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Record batches in pieces of bounded text, with bytes and offsets of ``column``."""
     for batch in source:
         data, offsets = text_bytes(batch.column(column))
-        for begin, end in pieces(offsets):
+        for begin, end in pieces(offsets, limit):
             own = offsets[begin : end + 1]
             yield batch.slice(begin, end - begin), data[own[0] : own[-1]], own - own[0]
 
