@@ -50,6 +50,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A path in the shared checkpoint folder that nothing uses yet."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from the written table.
 
@@ -58,7 +64,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     multiply with every join of an iteration until planning itself is slow.)
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

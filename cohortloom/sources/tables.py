@@ -154,19 +154,22 @@ def read_optional(spark: SparkSession, source: str | None, schema: T.StructType)
 
 
 def file_inventory(spark: SparkSession, required: Sequence[str]) -> DataFrame:
-    """Existence and size of each required file; file contents are not read."""
-    wanted = spark.createDataFrame([(path,) for path in required], "path string")
-    schema = "path string, size_bytes long"
-    rows = [(path, sum(_size(spark, name) for name in found)) for path in required if (found := matching_paths(spark, path))]
-    return wanted.join(spark.createDataFrame(rows, schema), "path", "left").withColumn(
-        "present", F.col("size_bytes").isNotNull()
-    )
-
+    """(path, size_bytes, present) of each required file, folder or glob; file contents are not read.
 
-def _size(spark: SparkSession, path: str) -> int:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(system.getContentSummary(target).getLength())
+    A folder has the size of the data files below it. An absent path has no size.
+    """
+    return reduce(lambda left, right: left.unionByName(right), [_inventory_row(spark, path) for path in required])
+
+
+def _inventory_row(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    try:
+        size = reader.load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        size = spark.range(1).select(F.lit(None).cast("long").alias("size_bytes"))
+    return size.select(F.lit(path).alias("path"), "size_bytes", F.col("size_bytes").isNotNull().alias("present"))
 
 
 def table_shape(df: DataFrame) -> DataFrame:

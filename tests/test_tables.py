@@ -91,3 +91,22 @@ def test_stack_and_names(spark):
     assert got == {("250", "A"), ("250", "B")}
     names = spark.createDataFrame([(" A ", " mild "), ("F", "x"), ("B", None)], "k string, final string")
     assert [tuple(r) for r in tables.cluster_display_names(names, "k", "final").collect()] == [("A", "mild")]
+
+
+def test_inventory_of_folders_globs_and_empty_files(spark, tmp_path):
+    (tmp_path / "deep" / "inner").mkdir(parents=True)
+    (tmp_path / "deep" / "one.txt").write_text("abc")
+    (tmp_path / "deep" / "inner" / "two.txt").write_text("de")
+    (tmp_path / "empty.txt").write_text("")
+    wanted = [f"{tmp_path}/{name}" for name in ("deep", "deep/*.txt", "empty.txt", "deep/none*.txt")]
+    got = [(r["path"], r["size_bytes"], r["present"]) for r in tables.file_inventory(spark, wanted).collect()]
+    assert got == list(zip(wanted, (5, 3, 0, None), (True, True, True, False), strict=True))
+
+
+def test_csv_in_another_encoding_and_unreadable_source(spark, tmp_path):
+    df = spark.createDataFrame([("é", 1)], "ICD string, Phecode int")
+    sinks.write_csv(df, str(tmp_path / "map.csv"), encoding="ISO-8859-1")
+    assert [tuple(r) for r in tables.read_code_csv(spark, str(tmp_path / "map.csv")).collect()] == [("é", "1")]
+    (tmp_path / "broken.parquet").write_text("no table")
+    with pytest.raises(Exception, match="(?i)parquet|footer|schema"):
+        tables.first_readable(spark, [str(tmp_path / "broken.parquet")], T.StructType())[0].collect()
